@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import cells
+from argentum.llm import cells, truncation
 from argentum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "sidecar"), table(spark, folder, "media")).filter("cut").select("rec_id", "field_name")
+
+
+def p2_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.report(table(spark, folder, "sidecar"), table(spark, folder, "media"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cells.repeats(table(spark, folder, "process_record"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found,)}
+    return {f.__name__: f for f in (p2_found, p2_sources, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
