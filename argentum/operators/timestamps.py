@@ -200,18 +200,25 @@ def resolve(parsed: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.withColumn("how", how).withColumn("utc_us", found.cast("bigint")).drop("spans", "holding", "offsets", "at_zone", "at_year", "abbr", "offset_s")
 
 
-def texts(sidecar: DataFrame, embedded: DataFrame, suspicious: DataFrame, exports: DataFrame) -> DataFrame:
-    """rec_id, kind, source_id, home_zone, epoch_us, local_us, zone: the parsed time of each record."""
+def stamp(rows: DataFrame, exports: DataFrame, spans: DataFrame, digits_are_calendar: bool = False) -> DataFrame:
+    """Replaces column text, and beside (an offset given apart from it), by how and utc_us; needs source_id, keeps other columns."""
     homes = exports.select("source_id", "export_locale", "home_zone")
-    taken = tidy(F.col("photo_taken_timestamp"))
-    one = sidecar.select(F.col("sidecar_id").alias("rec_id"), F.lit("sidecar").alias("kind"), "source_id", F.when(taken.rlike(NUMBER), taken).otherwise(F.col("photo_taken_formatted")).alias("text"))
-    three = suspicious.select(F.col("finding_id").alias("rec_id"), F.lit("suspicious_date").alias("kind"), "source_id", F.col("embedded_timestamp").alias("text"))
-    two = embedded.select(F.col("embedded_id").alias("rec_id"), F.lit("embedded_meta").alias("kind"), "source_id", F.col("capture_text").alias("text"), F.col("utc_offset").alias("beside"))
-    columns = ["rec_id", "kind", "source_id", "home_zone", "epoch_us", "local_us", "zone"]
-    counted = parse(one.unionByName(three).join(homes, "source_id", "left")).select(columns)
-    calendar = parse(two.join(homes, "source_id", "left"), digits_are_calendar=True)
-    calendar = calendar.withColumn("zone", F.when(F.col("zone") != "", F.col("zone")).otherwise(tidy(F.col("beside")))).select(columns)
-    return counted.unionByName(calendar)
+    read = parse(rows.join(homes, "source_id", "left"), digits_are_calendar)
+    if "beside" in rows.columns:
+        read = read.withColumn("zone", F.when(F.col("zone") != "", F.col("zone")).otherwise(tidy(F.col("beside")))).drop("beside")
+    return resolve(read, spans).drop("epoch_us", "local_us", "zone", "home_zone")
+
+
+def taken_text() -> Column:
+    """The time text of a sidecar row: the timestamp if it is a number, else the formatted text."""
+    number = tidy(F.col("photo_taken_timestamp"))
+    return F.when(number.rlike(NUMBER), number).otherwise(F.col("photo_taken_formatted"))
+
+
+def home_spans(exports: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """The intervals of the home zones, and of the zones named in column zone of named."""
+    zones = exports.select(F.col("home_zone").alias("zone"))
+    return intervals(zones.union(named) if named is not None else zones)
 
 
 def instants(sidecar: DataFrame, embedded: DataFrame, suspicious: DataFrame, exports: DataFrame) -> DataFrame:
@@ -222,7 +229,10 @@ def instants(sidecar: DataFrame, embedded: DataFrame, suspicious: DataFrame, exp
     text. Repeated rows stay; extra columns are ignored; empty tables give
     no rows.
     """
-    parsed = texts(sidecar, embedded, suspicious, exports)
     named = suspicious.select(F.regexp_extract(tidy(F.col("embedded_timestamp")), r" (\p{L}+/[\p{L}_/+-]+)$", 1).alias("zone")).filter("zone <> ''")
-    zones = exports.select(F.col("home_zone").alias("zone")).union(named)
-    return resolve(parsed, intervals(zones)).select("rec_id", "kind", "source_id", "how", "utc_us")
+    spans = home_spans(exports, named)
+    one = sidecar.select(F.col("sidecar_id").alias("rec_id"), F.lit("sidecar").alias("kind"), "source_id", taken_text().alias("text"))
+    three = suspicious.select(F.col("finding_id").alias("rec_id"), F.lit("suspicious_date").alias("kind"), "source_id", F.col("embedded_timestamp").alias("text"))
+    two = embedded.select(F.col("embedded_id").alias("rec_id"), F.lit("embedded_meta").alias("kind"), "source_id", F.col("capture_text").alias("text"), F.col("utc_offset").alias("beside"))
+    columns = ["rec_id", "kind", "source_id", "how", "utc_us"]
+    return stamp(one.unionByName(three), exports, spans).select(columns).unionByName(stamp(two, exports, spans, digits_are_calendar=True).select(columns))
