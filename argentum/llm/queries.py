@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import cells, truncation
+from argentum.llm import cells, linkage, truncation
 from argentum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    return linkage.link(*(table(spark, folder, t) for t in ("media", "sidecar", "embedded_meta", "export_source")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_links(spark, folder).select("media_id", "sidecar_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated(table(spark, folder, "sidecar"), table(spark, folder, "media")).filter("cut").select("rec_id", "field_name")
 
@@ -25,7 +33,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_sources, p5_found)}
+    return {f.__name__: f for f in (p1_links, p1_found, p2_found, p2_sources, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:

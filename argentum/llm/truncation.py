@@ -26,12 +26,15 @@ EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "gif", "webp", "tif", "tiff"
 
 #: Characters that the name of a sidecar keeps of the name it belongs to.
 NAME_LIMIT = 46
-#: A spike has at least LEAST values and TIMES as many as the lengths within AROUND have on average.
+#: A spike has at least LEAST different values, and TIMES as many as the lengths within AROUND have on average.
 LEAST, TIMES, AROUND = 4, 4.0, 6
+#: Share of values with an unknown end from which the spike of a kept extension is a limit.
+TORN = 0.4
 #: An end is known if at least KNOWN complete values have it.
 KNOWN = 3
 #: Share of unknown ends from which a column is taken to have no complete values without extension.
 NO_BARE = 0.7
+UNITS = ("chars", "bytes")
 
 _whole = "|".join(EXTENSIONS)
 _pieces = "|".join(sorted({e[:k] for e in EXTENSIONS for k in range(1, len(e))} - set(EXTENSIONS)))
@@ -83,19 +86,30 @@ def features(rows: DataFrame) -> DataFrame:
 def spikes(measured: DataFrame) -> DataFrame:
     """source_id, field_name, form, unit, length, values, expected: the spikes of the length histograms.
 
-    Names that end in numbers are left out: cameras give them fixed lengths.
+    Different values are counted, as a rescanned file repeats its name. Names
+    that end in numbers are left out: cameras give them fixed lengths.
     expected: the average count of the lengths within AROUND, the spike left
     out. A histogram has a row for each length that occurs, so its size
     doesn't grow with the data. Null sources are a source of their own.
     """
     words = measured.filter(F.col("form").isin("open", "stem") & ~F.col("end").rlike(r"\d"))
-    both = words.select("source_id", "field_name", "form", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))).alias("m"))
+    both = words.select("source_id", "field_name", "form", "chars", "bytes", "key").distinct().select("source_id", "field_name", "form", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("m"))
     counts = both.groupBy("source_id", "field_name", "form", "m.unit", "m.length").agg(F.count(F.lit(1)).alias("values"))
     around = Window.partitionBy("source_id", "field_name", "form", "unit").orderBy("length").rangeBetween(-AROUND, AROUND)
     expected = (F.sum("values").over(around) - F.col("values")) / (2 * AROUND)
     return counts.withColumn("expected", expected).filter((F.col("values") >= LEAST) & (F.col("values") >= TIMES * F.greatest(F.col("expected"), F.lit(0.5))))
 
 
+def at_limit(rows: DataFrame, limits: DataFrame, name: str) -> DataFrame:
+    """Adds whether a value has the length of a spike of its source, or of any source where its own is null."""
+    for unit in UNITS:
+        known = limits.filter((F.col("unit") == unit) & F.col("source_id").isNotNull()).select("source_id", "field_name", "form", F.col("length").alias(unit))
+        anywhere = known.drop("source_id").distinct().withColumn(f"any_{unit}", F.lit(True))
+        rows = rows.join(known.withColumn(f"at_{unit}", F.lit(True)), ["source_id", "field_name", "form", unit], "left").join(anywhere, ["field_name", "form", unit], "left")
+    hit = F.coalesce(*(F.col(f"at_{u}") for u in UNITS), F.lit(False)) | (F.col("source_id").isNull() & F.coalesce(*(F.col(f"any_{u}") for u in UNITS), F.lit(False)))
+    return rows.withColumn(name, hit).drop(*(f"{a}_{u}" for a in ("at", "any") for u in UNITS))
+
+
 def truncated(sidecar: DataFrame, media: DataFrame) -> DataFrame:
     """rec_id, field_name, source_id, cut, why of every value that isn't null.
 
@@ -110,15 +124,16 @@ def truncated(sidecar: DataFrame, media: DataFrame) -> DataFrame:
     """
     rows = cut(features(values(sidecar, media)), "names")
     limits = cut(spikes(rows), "spikes").select("source_id", "field_name", "form", "unit", "length").distinct()
-    hit = F.lit(True)
-    for unit in ("chars", "bytes"):
-        known = limits.filter(F.col("unit") == unit).select("source_id", "field_name", "form", F.col("length").alias(unit))
-        anywhere = known.drop("source_id").distinct().withColumn(f"any_{unit}", hit)
-        rows = rows.join(known.filter("source_id is not null").withColumn(f"at_{unit}", hit), ["source_id", "field_name", "form", unit], "left").join(anywhere, ["field_name", "form", unit], "left")
-    spike = F.coalesce(F.col("at_chars"), F.col("at_bytes"), F.lit(False)) | (F.col("source_id").isNull() & F.coalesce(F.col("any_chars"), F.col("any_bytes"), F.lit(False)))
-    rows = rows.withColumn("spike", spike)
-    ends = rows.filter((F.col("form") == "stem") & ~F.col("spike") & ~F.col("sign") & F.col("source_id").isNotNull()).groupBy("end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN).select("end", hit.alias("known"))
-    named = rows.filter((F.col("field_name") == "title") & (F.col("form") == "stem")).select("key", hit.alias("whole")).distinct()
+    rows = at_limit(rows, limits, "maybe")
+    complete = (F.col("form") == "stem") & ~F.col("maybe") & ~F.col("sign") & F.col("source_id").isNotNull()
+    ends = cut(rows.filter(complete).groupBy("end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN).select("end", F.lit(True).alias("known")), "ends")
+    # A kept extension shows a limit only where the values before it are torn.
+    torn = rows.filter((F.col("form") == "stem") & F.col("maybe")).join(ends, "end", "left").groupBy("source_id", "field_name", "form", *UNITS).agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
+    each = torn.select("source_id", "field_name", "form", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("m"), "n", "k")
+    sure = each.groupBy("source_id", "field_name", "form", "m.unit", "m.length").agg((1 - F.sum("k") / F.sum("n")).alias("torn")).filter(F.col("torn") >= TORN).drop("torn")
+    limits = limits.filter("form = 'open'").unionByName(limits.join(sure, ["source_id", "field_name", "form", "unit", "length"], "left_semi"))
+    rows = at_limit(rows, limits, "spike")
+    named = rows.filter((F.col("field_name") == "title") & (F.col("form") == "stem")).select("key", F.lit(True).alias("whole")).distinct()
     doubtful = rows.filter((F.col("form") == "open") | F.col("spike"))
     judged = doubtful.join(ends, "end", "left").join(named, "key", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "whole": F.coalesce("whole", F.lit(False))})
     off = (F.col("form") == "open") & ~F.col("spike") & ~F.col("sign") & F.col("on").isNull()
