@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import cells, linkage, truncation
+from argentum.llm import cells, linkage, mixing, splitting, truncation
 from argentum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cells.repeats(table(spark, folder, "process_record"))
 
 
+def p7_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.draw(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p7_drawn(spark, folder), table(spark, folder, "mix_target"))
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(table(spark, folder, "documents"), table(spark, folder, "size_limit"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_links, p1_found, p2_found, p2_sources, p5_found)}
+    return {f.__name__: f for f in (p1_links, p1_found, p2_found, p2_sources, p5_found, p7_drawn, p7_shares, p8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

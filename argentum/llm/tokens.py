@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,8 +26,8 @@ def encoding(path: str = TOKENIZER):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, tokens, digest of each document: its size in tokens and a hash of its whole text.
+def sizes(documents: DataFrame, path: str = TOKENIZER, form: Callable[[str], str] = str) -> DataFrame:
+    """doc_id, source, tokens, digest of each document: its size in tokens and a hash of its whole text in a form.
 
     A null text has no tokens and a null digest, an empty one no tokens.
     """
@@ -37,7 +37,7 @@ def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             counts = pa.array([len(encode(t)) if t else 0 for t in texts], type=pa.int64())
-            digests = pa.array([None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], type=pa.binary())
+            digests = pa.array([None if t is None else hashlib.blake2b(form(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, digests], names=["doc_id", "source", "tokens", "digest"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, tokens bigint, digest binary")
