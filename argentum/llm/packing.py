@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from argentum.llm import tokens
 from argentum.session import cut
 
-#: Fillings tried at a node, fillings listed before that, items in a listed filling, and nodes of a search.
+#: Fillings tried at a node, fillings listed before that and items in a listed filling, at first; nodes of a search.
 WIDTH, LISTED, ITEMS, NODES = 4, 64, 6, 20_000
+#: Times as many fillings that a repeated search lists at most.
+WIDEST = 16
+#: Items up to which fillings are compared for dominance; longer ones are kept.
+COMPARED = 12
 #: Items that one task ranks at a time, about.
 RANKED = 200_000
 
@@ -35,7 +39,9 @@ Packing = list[tuple[int, dict[int, int]]]
 
 def dominated(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
     """Whether the items of filling b fit into the places that the items of filling a leave."""
-    if sum(b) > sum(a):
+    if b == a:
+        return True
+    if sum(b) > sum(a) or max(len(a), len(b)) > COMPARED:
         return False
 
     def place(i: int, room: list[int]) -> bool:
@@ -55,33 +61,54 @@ def dominated(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
     return place(0, list(a))
 
 
-def fillings(rest: int, counts: dict[int, int]) -> list[tuple[int, ...]]:
-    """The fullest undominated fillings of rest with at most ITEMS sizes, the fullest first, then those of the largest items.
+def fillings(rest: int, counts: dict[int, int], scale: int = 1) -> tuple[list[tuple[int, ...]], bool]:
+    """The fullest undominated fillings of rest, the fullest first, then those of the largest items; whether none is left out.
 
     A size that fits exactly dominates everything. After ITEMS items the rest
-    is filled greedily.
+    is filled greedily, with as many items as fit. WIDTH, LISTED and ITEMS are
+    taken scale times.
     """
+    width, listed, most_items = WIDTH * scale, LISTED * scale, ITEMS * scale
     order = sorted(s for s in counts if counts[s] > 0 and s <= rest)
     if not order:
-        return [()]
+        return [()], True
     if order[-1] == rest:
-        return [(rest,)]
+        return [(rest,)], True
     found: list[tuple[int, ...]] = []
+    whole = True
+
+    def greedy(room: int, most: int, used: tuple[int, ...]) -> tuple[int, ...]:
+        i, more = bisect_right(order, min(room, most)) - 1, []
+        while i >= 0:
+            times = min(counts[order[i]] - used.count(order[i]), room // order[i])
+            more += [order[i]] * times
+            room -= order[i] * times
+            i = min(i - 1, bisect_right(order, room) - 1)
+        return (*used, *more)
 
     def extend(room: int, most: int, used: tuple[int, ...]) -> None:
+        nonlocal whole
+        if len(used) >= most_items:
+            found.append(greedy(room, most, used))
+            whole = whole and len(found[-1]) == len(used)
+            return
         i = bisect_right(order, min(room, most)) - 1
         while i >= 0 and used.count(order[i]) >= counts[order[i]]:
             i -= 1
-        if i < 0 or len(used) >= 64:
+        if i < 0:
             found.append(used)
             return
         branches = 0
-        while i >= 0 and branches < (WIDTH if len(used) < ITEMS else 1) and len(found) < LISTED:
+        while i >= 0:
             size = order[i]
             if used.count(size) < counts[size]:
+                if branches >= width or len(found) >= listed:
+                    whole = False
+                    return
                 extend(room - size, size, (*used, size))
                 branches += 1
                 if found and sum(found[-1]) == rest:
+                    whole = whole and i == 0
                     return
             i -= 1
 
@@ -89,11 +116,12 @@ def fillings(rest: int, counts: dict[int, int]) -> list[tuple[int, ...]]:
     found.sort(key=lambda f: (-sum(f), tuple(-s for s in f)))
     kept: list[tuple[int, ...]] = []
     for f in found:
-        if not any(dominated(f, k) for k in kept):
-            kept.append(f)
-        if len(kept) == WIDTH:
-            break
-    return kept
+        if any(dominated(f, k) for k in kept):
+            continue
+        if len(kept) == width:
+            return kept, False
+        kept.append(f)
+    return kept, whole
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Packing:
@@ -119,24 +147,30 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return packing
 
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
-    """The best packing that bin completion finds within a number of nodes; best fit's if it finds no better.
+def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> tuple[Packing, str]:
+    """The best packing that bin completion finds within a number of nodes, best fit's if it finds no better; how the search ended.
 
     counts: documents of each size from 1 to capacity. A packing that reaches
-    the bound ceil(tokens / capacity) ends the search; any packing holds all
-    documents.
+    the bound ceil(tokens / capacity) ends the search (`bound`); any packing
+    holds all documents. A search that left out fillings is repeated with
+    twice as many, until none is left out (`exhausted`; each filling is tried
+    as often as the counts allow, so that fewer containers may still exist),
+    WIDEST times as many are listed (`listed`) or the nodes are spent (`nodes`).
     """
     total = sum(s * n for s, n in counts.items())
     best = best_fit(counts, capacity)
     least, known = -(-total // capacity), sum(k for k, _ in best)
     left, path, used, spent = {s: n for s, n in counts.items() if n > 0}, [], 0, 0
+    scale, whole = 1, True
 
     stack: list[tuple[Iterator[tuple[int, ...]], int, int]] = []
 
     def options() -> Iterator[tuple[int, ...]]:
+        nonlocal whole
         top = max(left)
         left[top] -= 1
-        found = fillings(capacity - top, left)
+        found, all_of_them = fillings(capacity - top, left, scale)
+        whole = whole and all_of_them
         left[top] += 1
         return iter([(top, *f) for f in found])
 
@@ -159,6 +193,9 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
         spent += 1
         if filling is None:
             stack.pop()
+            if not stack and not whole and scale < WIDEST:
+                scale, whole = 2 * scale, True
+                stack.append((options(), 0, 0))
             continue
         content: dict[int, int] = {}
         for s in filling:
@@ -179,7 +216,7 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
             undo()
             continue
         stack.append((options(), len(path), waste))
-    return best
+    return best, "bound" if known <= least else "nodes" if stack else "exhausted" if whole else "listed"
 
 
 def items(documents: DataFrame, capacity: int, path: str = tokens.TOKENIZER) -> DataFrame:
@@ -199,7 +236,7 @@ def fill(documents: DataFrame, capacity: int, path: str = tokens.TOKENIZER, node
     all_items = cut(items(documents, capacity, path), "items")
     histogram = all_items.filter("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["tokens"]: r["n"] for r in histogram.collect()}  # at most `capacity` rows
-    packing = pack(counts, capacity, nodes)
+    packing, _ = pack(counts, capacity, nodes)
 
     # For each size the runs of ranks that one kind of container takes: first rank, first container, times.
     runs: dict[int, list[tuple[int, int, int]]] = {}
@@ -251,9 +288,17 @@ def fill_all(documents: DataFrame, limits: DataFrame, path: str = tokens.TOKENIZ
     return out
 
 
-def use(filled: DataFrame, limits: DataFrame) -> DataFrame:
-    """limit_name, containers, tokens, least, full: how well the containers are used; least: ceil(tokens / capacity)."""
-    sums = filled.filter("container is not null").groupBy("limit_name").agg(F.max("container").alias("last"), F.sum("tokens").alias("tokens"))
-    room = limits.select("limit_name", F.col("capacity_tokens").cast("bigint").alias("room"))
-    counted = sums.join(room, "limit_name").withColumn("containers", F.col("last") + 1)
-    return counted.select("limit_name", "containers", "tokens", F.ceil(F.col("tokens") / F.col("room")).alias("least"), (F.col("tokens") / (F.col("containers") * F.col("room"))).alias("full"))
+def use(documents: DataFrame, limits: DataFrame, path: str = tokens.TOKENIZER) -> DataFrame:
+    """limit_name, items, containers, tokens, least, full, ended for each `pack` capacity: how well the containers are used.
+
+    least: ceil(tokens / capacity), which no packing is below; ended: how the
+    search for a better packing ended (see pack).
+    """
+    rows = []
+    for name, capacity, _ in capacities(limits, "pack"):
+        histogram = items(documents, capacity, path).filter("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["tokens"]: r["n"] for r in histogram.collect()}
+        packing, ended = pack(counts, capacity)
+        total, containers = sum(s * n for s, n in counts.items()), sum(k for k, _ in packing)
+        rows.append((name, sum(counts.values()), containers, total, -(-total // capacity), total / (containers * capacity) if containers else None, ended))
+    return documents.sparkSession.createDataFrame(rows, "limit_name string, items bigint, containers bigint, tokens bigint, least bigint, full double, ended string")

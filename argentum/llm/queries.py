@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import cells, linkage, mixing, splitting, truncation
+from argentum.llm import cells, linkage, mixing, packing, splitting, truncation
 from argentum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cells.repeats(table(spark, folder, "process_record"))
 
 
+def p6_filled(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_all(table(spark, folder, "documents"), table(spark, folder, "size_limit"))
+
+
+def p6_use(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.use(table(spark, folder, "documents"), table(spark, folder, "size_limit"))
+
+
 def p7_drawn(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.draw(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
 
@@ -45,7 +53,7 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_links, p1_found, p2_found, p2_sources, p5_found, p7_drawn, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_links, p1_found, p2_found, p2_sources, p5_found, p6_filled, p6_use, p7_drawn, p7_shares, p8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
