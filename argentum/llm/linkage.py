@@ -8,9 +8,10 @@ A collective linkage on the graph whose nodes are media and sidecars:
    lists. An edge weighs the sum of its shared attributes, each by its
    reliability and by how rare it is among the sidecars: ln(N/df) / ln(N).
 2. Meta-blocking prunes the graph. A block with more than sqrt(N) sidecars is
-   not opened: its attribute weighs less than half, so its edges could not be
-   kept by it, and they count it when another block brings them. Then each
-   node keeps the edges near its best one.
+   opened through finer ones only: what its attribute shares together with a
+   name, a second or a folder, and where that is large too, with two of them.
+   Its attribute then counts as one that is shared but not rare. Then each node
+   keeps the edges near its best one.
 3. Similarity spreads between neighbours: media with one content or one folder
    and name, sidecars with one time and name. An edge takes SPREAD of the best
    edge between its ends' neighbours, again and again until no edge is added.
@@ -39,6 +40,9 @@ BEGIN, LATE, HOUR = 28, 5, 3600
 #: Files written from this long before the export to this long after it tell nothing of the capture.
 EXPORT_DAYS = 3
 
+#: The kind of the keys of finer blocks; they bring edges and add nothing to their weight.
+FINER = 9
+
 # Marks of edited copies, without accents.
 EDITED = r"(?i)-(?:edited|bearbeitet|editado|modifie|編集済み)"
 NUMBER = r"\((\d+)\)$"
@@ -146,17 +150,44 @@ def sidecar_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(*payload, F.explode(keys).alias("k")).select("*", "k.key", "k.kind").drop("k")
 
 
+def finer(rows: DataFrame, large: DataFrame, seconds: Column, names: Column, folder: Column, level: int) -> DataFrame:
+    """The rows of large blocks with the keys of the finer blocks: with an attribute that the key lacks (level 1), or with two (level 2).
+
+    whole: whether the finer key has a name, a second and a folder or place; such blocks are opened whatever their size.
+    """
+    kind = F.col("kind")
+    none = F.array().cast("array<bigint>")
+    lacks = lambda of, x: F.when(kind.isin(*of), none).otherwise(x)
+    hashes = lambda what, x: F.transform(F.array_compact(F.array_distinct(x)), lambda i: F.xxhash64(F.lit(what), i))
+    a, b, c = lacks((2, 6), hashes("second", seconds)), lacks((0, 1, 4, 5), hashes("name", names)), lacks((4, 5, 6), F.array(F.xxhash64(F.lit("folder"), folder)))
+    product = lambda x, y: F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.xxhash64(i, j))))
+    more = F.concat(a, b, c) if level == 1 else F.concat(product(a, b), product(a, c), lacks((3,), product(b, c)))
+    found = rows.join(F.broadcast(large.select("key")), "key").withColumn("more", F.explode(more))
+    return found.withColumns({"whole": kind.isin(4, 5, 6) | F.lit(level == 2), "key": F.xxhash64("key", "more"), "kind": F.lit(FINER).cast("byte")}).drop("more")
+
+
 def edges(media: DataFrame, sidecars: DataFrame, total: int) -> DataFrame:
     """media_id, sidecar_id, score of every candidate edge that no rule forbids."""
     total = max(total, 2)
     a = media_keys(media)
     b = sidecar_keys(sidecars)
-    df = b.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= max(4, int(total**0.5)))
-    b = b.join(df, "key")
-    shared = a.join(b.drop("kind"), "key")
+    cap = max(4, int(total**0.5))
+    counts = cut(b.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "blocks")
+    shared = a.join(b.drop("kind").join(counts.filter(F.col("df") <= cap), "key"), "key")
+    large = counts.filter(F.col("df") > cap)
+    if not large.isEmpty():
+        times = F.flatten(F.transform(F.array("written", "clock"), lambda t: F.array(F.floor(t / 8), F.floor((t - LATE) / 8))))
+        sides = lambda level: (finer(a, large, times, F.array("name"), F.col("dir"), level).dropDuplicates(["media_id", "key"]), finer(b, large, F.array(F.floor(F.col("taken") / 8)), F.array("titled", "own"), F.col("s_dir"), level).dropDuplicates(["sidecar_id", "key"]))
+        a1, b1 = sides(1)
+        sizes = cut(b1.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.max("whole").alias("whole")), "finer")
+        opened = sizes.filter((F.col("df") <= cap) | F.col("whole")).drop("whole")
+        shared = shared.unionByName(a1.drop("whole").join(b1.drop("kind", "whole").join(opened, "key"), "key"))
+        if not sizes.filter((F.col("df") > cap) & ~F.col("whole")).isEmpty():
+            a2, b2 = sides(2)
+            shared = shared.unionByName(a2.drop("whole").join(b2.drop("kind", "whole").withColumn("df", F.lit(cap + 1).cast("bigint")), "key"))
     # Keys of kinds 5 and 6 know no source: they are for rows without one.
     unknown = F.col("source_id").isNull() | F.col("s_source").isNull()
-    shared = shared.filter((F.col("source_id") == F.col("s_source")) & ~F.col("kind").isin(5, 6) | unknown & F.col("kind").isin(4, 5, 6))
+    shared = shared.filter((F.col("source_id") == F.col("s_source")) & ~F.col("kind").isin(5, 6) | unknown & F.col("kind").isin(4, 5, 6, FINER))
     rare = F.log(F.lit(float(total)) / F.col("df")) / F.log(F.lit(float(total)))
     of = lambda kinds, w: F.max(F.when(F.col("kind").isin(*kinds), F.lit(w) * rare)).alias
     fixed = [F.first(c).alias(c) for c in ("dir", "name", "named", "num", "edited", "written", "clock", "s_dir", "titled", "own", "s_named", "s_num", "taken")]
@@ -229,9 +260,16 @@ def link(media: DataFrame, sidecar: DataFrame, embedded: DataFrame, exports: Dat
     s = cut(sidecar_nodes(sidecar, exports, spans), "sidecars")
     alike = [c for c in m.columns if c not in ("media_id", "content_hash")]
     rep = m.groupBy(*alike).agg(F.min("media_id").alias("media_id"), F.count(F.lit(1)).alias("copies"), F.max("content_hash").alias("content_hash"))
-    scored = cut(edges(rep, s, s.count()), "edges")
+    same = [c for c in s.columns if c != "sidecar_id"]
+    reps = cut(s.groupBy(*same).agg(F.min("sidecar_id").alias("sidecar_id"), F.count(F.lit(1)).alias("copies")), "reps")
+    scored = cut(edges(rep, reps.drop("copies"), reps.count()), "edges")
     links = cut(prune(scored), "links")
-    # Copies take the links of the first of them; the content they share spreads with them.
+    # Copies take the links of the first of them, first those of sidecars.
+    hashed = F.xxhash64(*same)
+    repeated = reps.filter("copies > 1").select(hashed.alias("features"), F.col("sidecar_id").alias("first"), "copies")
+    others = salted_join(s.select(hashed.alias("features"), "sidecar_id"), repeated, ["features"], "copies", s.count()).filter("sidecar_id <> first").select("sidecar_id", "first")
+    links = cut(links.unionByName(others.join(links.withColumnRenamed("sidecar_id", "first"), "first").select("media_id", "sidecar_id", "score")), "links")
+    # Then those of media; the content they share spreads with them.
     nodes = m.withColumn("features", F.xxhash64(*alike))
     firsts = nodes.groupBy("features").agg(F.min("media_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     copies = salted_join(nodes.select("features", "media_id"), firsts, ["features"], "copies", m.count()).filter("media_id <> first").select("media_id", F.col("first"))

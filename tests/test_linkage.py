@@ -1,0 +1,26 @@
+from argentum.llm import linkage
+
+MEDIA = "media_id bigint, source_id string, dir bigint, name string, num int, edited boolean, written bigint, clock bigint, lat double, lon double, content_hash string, match_candidates array<string>"
+SIDECAR = "sidecar_id bigint, source_id string, dir bigint, own string, titled string, num int, taken bigint, lat double, lon double, path bigint"
+
+
+def medium(i, source="s", folder=1, name="img 1", time=None, clock=None):
+    return (i, source, folder, name, 0, False, time, clock, None, None, None, None)
+
+
+def side(i, source="s", folder=1, name="img 1", time=None):
+    return (i, source, folder, name, name, 0, time, None, None, i)
+
+
+def found(spark, media, sidecars, total=None):
+    scored = linkage.edges(spark.createDataFrame(media, MEDIA), spark.createDataFrame(sidecars, SIDECAR), total or len(sidecars))
+    return {(r["media_id"], r["sidecar_id"]) for r in scored.collect() if r["score"] >= linkage.ENOUGH}
+
+
+def test_pair_whose_blocks_are_all_large(spark):
+    # The name, the second and the folder of sidecar 0 are those of 20 more each.
+    sidecars = [side(0, time=800_000)]
+    sidecars += [side(100 + i, folder=500 + i, time=1_000_000 + 9000 * i) for i in range(20)]
+    sidecars += [side(200 + i, folder=600 + i, name=f"other {i}", time=800_000) for i in range(20)]
+    sidecars += [side(300 + i, folder=1, name=f"third {i}", time=5_000_000 + 9000 * i) for i in range(20)]
+    assert (1, 0) in found(spark, [medium(1, time=800_001)], sidecars)
