@@ -9,7 +9,8 @@ terminal punctuation are flagged.
 
 Cuts in mid-transfer have no common length. They are found by their ends: a
 piece of an extension, a mark of omission, a torn character, or an end that
-complete names of the corpus don't have. A sidecar's own name serves as the
+complete names of the corpus don't have, or have too seldom beside the values
+without extension that end so. A sidecar's own name serves as the
 exact check where it goes on after the title's end.
 """
 
@@ -30,10 +31,8 @@ NAME_LIMIT = 46
 LEAST, TIMES, AROUND = 4, 4.0, 6
 #: Share of values with an unknown end from which the spike of a kept extension is a limit.
 TORN = 0.4
-#: An end is known if at least KNOWN complete values have it.
-KNOWN = 3
-#: Share of unknown ends from which a column is taken to have no complete values without extension.
-NO_BARE = 0.7
+#: An end is known if at least KNOWN complete values have it, and of the values without extension off the spikes one only or at most RATE times as many.
+KNOWN, RATE = 3, 1 / 16
 UNITS = ("chars", "bytes")
 
 _whole = "|".join(EXTENSIONS)
@@ -126,7 +125,9 @@ def truncated(sidecar: DataFrame, media: DataFrame) -> DataFrame:
     limits = cut(spikes(rows), "spikes").select("source_id", "field_name", "form", "unit", "length").distinct()
     rows = at_limit(rows, limits, "maybe")
     complete = (F.col("form") == "stem") & ~F.col("maybe") & ~F.col("sign") & F.col("source_id").isNotNull()
-    ends = cut(rows.filter(complete).groupBy("end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN).select("end", F.lit(True).alias("known")), "ends")
+    loose = (F.col("form") == "open") & ~F.col("maybe") & ~F.col("sign") & F.col("on").isNull()
+    tallied = rows.filter(complete | loose).groupBy("end").agg(F.count_if(complete).alias("n"), F.count_if(loose).alias("o"))
+    ends = cut(tallied.filter((F.col("n") >= KNOWN) & (F.col("o") <= F.greatest(F.lit(1.0), F.col("n") * RATE))).select("end", F.lit(True).alias("known")), "ends")
     # A kept extension shows a limit only where the values before it are torn.
     torn = rows.filter((F.col("form") == "stem") & F.col("maybe")).join(ends, "end", "left").groupBy("source_id", "field_name", "form", *UNITS).agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
     each = torn.select("source_id", "field_name", "form", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("m"), "n", "k")
@@ -136,16 +137,13 @@ def truncated(sidecar: DataFrame, media: DataFrame) -> DataFrame:
     named = rows.filter((F.col("field_name") == "title") & (F.col("form") == "stem")).select("key", F.lit(True).alias("whole")).distinct()
     doubtful = rows.filter((F.col("form") == "open") | F.col("spike"))
     judged = doubtful.join(ends, "end", "left").join(named, "key", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "whole": F.coalesce("whole", F.lit(False))})
-    off = (F.col("form") == "open") & ~F.col("spike") & ~F.col("sign") & F.col("on").isNull()
-    bare = judged.filter(off).groupBy("field_name").agg((F.avg(F.when(F.col("known"), 0.0).otherwise(1.0)) >= NO_BARE).alias("no_bare"))
-    judged = judged.join(F.broadcast(bare), "field_name", "left")
     why = (
         F.when(F.col("end") == "", F.lit(None))
         .when(F.col("sign"), "sign")
         .when(F.col("on"), "goes on")
         .when(F.col("spike") & (F.col("form") == "open") & F.coalesce(F.col("on"), F.lit(True)), "spike")
         .when(F.col("spike") & (F.col("form") == "stem") & ~F.col("whole") & (F.col("source_id").isNotNull() | ~F.col("known")), "spike")
-        .when((F.col("form") == "open") & ~F.col("spike") & F.col("on").isNull() & (~F.col("known") | F.coalesce(F.col("no_bare"), F.lit(False))), "unknown end")
+        .when((F.col("form") == "open") & ~F.col("spike") & F.col("on").isNull() & ~F.col("known"), "unknown end")
     )
     sure = rows.filter((F.col("form") != "open") & ~F.col("spike")).select("rec_id", "field_name", "source_id", F.when(F.col("sign"), "sign").alias("why"))
     everything = judged.select("rec_id", "field_name", "source_id", why.alias("why")).unionByName(sure)
