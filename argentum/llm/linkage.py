@@ -112,6 +112,13 @@ def _cells(lat: Column, lon: Column, near: float) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull() & ((lat != 0) | (lon != 0)), F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def _anywhere(emits: Column, unknown: str, names: Column, seconds: Column, cells: Column) -> list[Column]:
+    """Keys without source and folder for pairs whose `unknown` side has no source: name with number, name with second, place with second."""
+    of = lambda x: F.when(emits, x).otherwise(F.array().cast("array<bigint>"))
+    product = lambda x: F.flatten(F.transform(x, lambda i: F.transform(seconds, lambda j: F.xxhash64(i, j))))
+    return [_each(7, of(names), [F.lit(unknown)]), _each(8, of(product(names)), [F.lit(unknown)]), _each(10, of(product(cells)), [F.lit(unknown)])]
+
+
 def media_keys(nodes: DataFrame) -> DataFrame:
     src, name, num, here = F.col("source_id"), F.col("name"), F.col("num"), F.col("source_id").isNotNull()
     seconds = F.array_distinct(F.filter(F.flatten(F.transform(F.array("written", "clock"), lambda t: F.array(F.floor(t / 8), F.floor((t - LATE) / 8)))), lambda x: x.isNotNull()))
@@ -125,6 +132,8 @@ def media_keys(nodes: DataFrame) -> DataFrame:
         _each(4, listed, []),
         _key(5, name != "", F.col("dir"), name, num),
         _each(6, seconds, [F.col("dir")]),
+        *_anywhere(~here, "media", F.when(name != "", F.array(F.xxhash64(letters(name), num))).otherwise(none), seconds, _cells(F.col("lat"), F.col("lon"), 0.001)),
+        *_anywhere(F.lit(True), "sidecar", F.when(name != "", F.array(F.xxhash64(letters(name), num))).otherwise(none), seconds, _cells(F.col("lat"), F.col("lon"), 0.001)),
     )
     payload = ["media_id", "source_id", "dir", F.xxhash64("name").alias("name"), (F.length("name") > 0).alias("named"), F.col("num").cast("short").alias("num"), "edited", "written", "clock"]
     return nodes.select(*payload, F.explode(keys).alias("k")).select("*", "k.key", "k.kind").drop("k")
@@ -137,6 +146,8 @@ def sidecar_keys(nodes: DataFrame) -> DataFrame:
     second = F.floor(F.col("taken") / 8)
     named = F.flatten(F.transform(names, lambda n: F.transform(nums, lambda k: F.struct(n.alias("n"), k.alias("k")))))
     nothing = F.array().cast("array<struct<key: bigint, kind: tinyint>>")
+    keyed = F.coalesce(F.transform(named, lambda x: F.xxhash64(letters(x["n"]), x["k"])), F.array().cast("array<bigint>"))
+    when = F.array_compact(F.array(second))
     keys = _keys(
         F.when(here, F.transform(named, lambda x: F.struct(F.xxhash64(F.lit(0), src, letters(x["n"]), x["k"]).alias("key"), F.lit(0).cast("byte").alias("kind")))).otherwise(nothing),
         F.when(here, _each(1, F.array_distinct(F.transform(F.filter(names, lambda n: F.length(n) >= BEGIN), lambda n: F.substring(n, 1, BEGIN))), [src])).otherwise(nothing),
@@ -145,6 +156,8 @@ def sidecar_keys(nodes: DataFrame) -> DataFrame:
         _key(4, F.col("path").isNotNull(), F.col("path")),
         F.transform(named, lambda x: F.struct(F.xxhash64(F.lit(5), F.col("dir"), x["n"], x["k"]).alias("key"), F.lit(5).cast("byte").alias("kind"))),
         _key(6, second.isNotNull(), F.col("dir"), second),
+        *_anywhere(F.lit(True), "media", keyed, when, _cells(F.col("lat"), F.col("lon"), 0.0)),
+        *_anywhere(~here, "sidecar", keyed, when, _cells(F.col("lat"), F.col("lon"), 0.0)),
     )
     payload = ["sidecar_id", F.col("source_id").alias("s_source"), F.col("dir").alias("s_dir"), F.xxhash64("titled").alias("titled"), F.xxhash64("own").alias("own"), F.coalesce(F.col("titled"), F.col("own")).isNotNull().alias("s_named"), F.col("num").cast("short").alias("s_num"), "taken"]
     return nodes.select(*payload, F.explode(keys).alias("k")).select("*", "k.key", "k.kind").drop("k")
@@ -159,11 +172,11 @@ def finer(rows: DataFrame, large: DataFrame, seconds: Column, names: Column, fol
     none = F.array().cast("array<bigint>")
     lacks = lambda of, x: F.when(kind.isin(*of), none).otherwise(x)
     hashes = lambda what, x: F.transform(F.array_compact(F.array_distinct(x)), lambda i: F.xxhash64(F.lit(what), i))
-    a, b, c = lacks((2, 6), hashes("second", seconds)), lacks((0, 1, 4, 5), hashes("name", names)), lacks((4, 5, 6), F.array(F.xxhash64(F.lit("folder"), folder)))
+    a, b, c = lacks((2, 6, 8, 10), hashes("second", seconds)), lacks((0, 1, 4, 5, 7, 8), hashes("name", names)), lacks((4, 5, 6), F.array(F.xxhash64(F.lit("folder"), folder)))
     product = lambda x, y: F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.xxhash64(i, j))))
     more = F.concat(a, b, c) if level == 1 else F.concat(product(a, b), product(a, c), lacks((3,), product(b, c)))
     found = rows.join(F.broadcast(large.select("key")), "key").withColumn("more", F.explode(more))
-    return found.withColumns({"whole": kind.isin(4, 5, 6) | F.lit(level == 2), "key": F.xxhash64("key", "more"), "kind": F.lit(FINER).cast("byte")}).drop("more")
+    return found.withColumns({"whole": kind.isin(4, 5, 6, 8, 10) | F.lit(level == 2), "key": F.xxhash64("key", "more"), "kind": F.lit(FINER).cast("byte")}).drop("more")
 
 
 def edges(media: DataFrame, sidecars: DataFrame, total: int) -> DataFrame:
@@ -185,13 +198,13 @@ def edges(media: DataFrame, sidecars: DataFrame, total: int) -> DataFrame:
         if not sizes.filter((F.col("df") > cap) & ~F.col("whole")).isEmpty():
             a2, b2 = sides(2)
             shared = shared.unionByName(a2.drop("whole").join(b2.drop("kind", "whole").withColumn("df", F.lit(cap + 1).cast("bigint")), "key"))
-    # Keys of kinds 5 and 6 know no source: they are for rows without one.
+    # Keys of kinds 5 to 8 and 10 know no source: they are for rows without one.
     unknown = F.col("source_id").isNull() | F.col("s_source").isNull()
-    shared = shared.filter((F.col("source_id") == F.col("s_source")) & ~F.col("kind").isin(5, 6) | unknown & F.col("kind").isin(4, 5, 6, FINER))
+    shared = shared.filter((F.col("source_id") == F.col("s_source")) & ~F.col("kind").isin(5, 6, 7, 8, 10) | unknown & F.col("kind").isin(4, 5, 6, 7, 8, 10, FINER))
     rare = F.log(F.lit(float(total)) / F.col("df")) / F.log(F.lit(float(total)))
     of = lambda kinds, w: F.max(F.when(F.col("kind").isin(*kinds), F.lit(w) * rare)).alias
     fixed = [F.first(c).alias(c) for c in ("dir", "name", "named", "num", "edited", "written", "clock", "s_dir", "titled", "own", "s_named", "s_num", "taken")]
-    pairs = shared.groupBy("media_id", "sidecar_id").agg(of((0, 5), NAME)("by_name"), of((1,), PREFIX)("by_begin"), of((2, 6), TIME)("by_time"), of((3,), PLACE)("by_place"), of((4,), CANDIDATE)("by_list"), *fixed)
+    pairs = shared.groupBy("media_id", "sidecar_id").agg(of((0, 5, 7), NAME)("by_name"), of((1,), PREFIX)("by_begin"), of((2, 6), TIME)("by_time"), of((3, 10), PLACE)("by_place"), of((4,), CANDIDATE)("by_list"), *fixed)
     late, off = F.col("written") - F.col("taken"), F.col("clock") - F.col("taken")
     on_time = late.between(-LATE, LATE) | F.abs(F.abs(late) - HOUR).between(-LATE, LATE)
     on_clock = off.between(-60, LATE)

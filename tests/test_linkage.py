@@ -24,3 +24,8 @@ def test_pair_whose_blocks_are_all_large(spark):
     sidecars += [side(200 + i, folder=600 + i, name=f"other {i}", time=800_000) for i in range(20)]
     sidecars += [side(300 + i, folder=1, name=f"third {i}", time=5_000_000 + 9000 * i) for i in range(20)]
     assert (1, 0) in found(spark, [medium(1, time=800_001)], sidecars)
+
+
+def test_unknown_source_in_another_folder(spark):
+    sidecars = [side(0, source="t", folder=7, time=800_000), side(1, source=None, folder=8, name="img 2", time=900_000), *(side(100 + i, name=f"other {i}", time=9000 * i) for i in range(50))]
+    assert {(1, 0), (2, 1)} <= found(spark, [medium(1, source=None, time=800_001), medium(2, source="u", name="img 2", time=900_002)], sidecars)
