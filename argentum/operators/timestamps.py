@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from argentum.functions.text import unaccent
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+FIRST_YEAR, LAST_YEAR = 1800, 2199
 
 # The beginnings of month names in English, German, French, Spanish, Italian, Portuguese and Dutch, without marks.
 MONTHS = {
@@ -73,7 +73,7 @@ def parse(rows: DataFrame, digits_are_calendar: bool = False) -> DataFrame:
     """Replaces columns text and export_locale by epoch_us, local_us and zone; all null where the text is no time.
 
     All-numeric dates that don't begin with the year have the month first in
-    en-US or before AM or PM, else the day. digits_are_calendar: a bare number
+    en-US, else the day. digits_are_calendar: a bare number
     is yyyyMMddHHmm[ss], no count from 1970. The steps are columns of their
     own, so that each is evaluated once a row.
     """
@@ -93,7 +93,7 @@ def parse(rows: DataFrame, digits_are_calendar: bool = False) -> DataFrame:
         ),
     )
     rows = rows.withColumns({"_half": F.upper(F.substring(p[7], 1, 1)), "_name": F.when(p[1].rlike(r"^\p{L}"), F.lower(unaccent(p[1])))})
-    month_first = F.col("export_locale").eqNullSafe("en-US") | (F.col("_half") != "")
+    month_first = F.col("export_locale").eqNullSafe("en-US")
     first, second = F.substring(p[1], 2, 2), p[2]
     named = F.coalesce(*(F.when(F.substring("_name", 1, len(b)) == b, F.lit(str(m))) for m, begins in MONTHS.items() for b in sorted(begins, key=len, reverse=True)))
     month = F.when(p[1].startswith("#"), F.when(month_first, first).otherwise(second)).when(F.col("_name").isNull(), p[1]).otherwise(named)
@@ -116,47 +116,85 @@ def parse(rows: DataFrame, digits_are_calendar: bool = False) -> DataFrame:
     return rows.select(*kept, count.alias("epoch_us"), "local_us", F.when(F.col("local_us").isNotNull(), p[8]).alias("zone"))
 
 
+def moments(name: str) -> list[int]:
+    """The UTC seconds at which the tables of a zone list a change, in order; an unknown name raises."""
+    import importlib.resources
+    import struct
+    import zoneinfo
+    from pathlib import Path
+
+    zoneinfo.ZoneInfo(name)  # refuses names that lead out of the folders
+    found = next((path for root in zoneinfo.TZPATH if (path := Path(root, name)).is_file()), None)
+    raw = found.read_bytes() if found else importlib.resources.files("tzdata.zoneinfo").joinpath(name).read_bytes()
+
+    def counts(at: int) -> tuple[int, ...]:
+        return struct.unpack(">6l", raw[at + 20 : at + 44])
+
+    utc, std, leap, times, types, chars = counts(0)
+    if raw[4:5] < b"2":
+        return list(struct.unpack(f">{times}l", raw[44 : 44 + 4 * times]))
+    second = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc
+    times = counts(second)[3]
+    return list(struct.unpack(f">{times}q", raw[second + 44 : second + 44 + 8 * times]))
+
+
+def offsets(name: str) -> list[tuple[int, int, int, str]]:
+    """from, to (UTC seconds), offset in seconds and abbreviation of each stretch of a zone from FIRST_YEAR to LAST_YEAR.
+
+    Changes that the tables list are taken from there. After the last of them
+    a yearly rule holds, whose two changes lie weeks apart: a scan by
+    fortnights finds them.
+    """
+    from zoneinfo import ZoneInfo
+
+    zone, base = ZoneInfo(name), datetime(1970, 1, 1, tzinfo=timezone.utc)
+    # Two days more at both ends, as local years begin and end at other moments.
+    first, last = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - base).total_seconds()) + d * 86_400 for y, d in ((FIRST_YEAR, -2), (LAST_YEAR + 1, 2)))
+
+    def state(second: int) -> tuple[int, str]:
+        there = (base + timedelta(seconds=second)).astimezone(zone)
+        return int(there.utcoffset().total_seconds()), there.tzname()
+
+    listed = [m for m in moments(name) if first < m < last]
+    began, now, known = first, state(first), []
+    for at in listed:
+        if state(at) != now:
+            known.append((began, at, *now))
+            began, now = at, state(at)
+    at, step = max([first, *listed]), 14 * 86_400
+    while at < last:
+        after = min(at + step, last)
+        if state(after) != now:
+            low, high = at, after
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if state(middle) == now else (low, middle)
+            known.append((began, high, *now))
+            began, now, after = high, state(high), high
+        at = after
+    return [*known, (began, last, *now)]
+
+
 def intervals(zones: DataFrame) -> DataFrame:
     """zone, year, spans: for each zone name the offset intervals whose wall-clock time touches the year.
 
     spans: array of (from_us, to_us, offset_s, abbr), in wall-clock time. A
     name that is no IANA zone gives no rows. There are at most 600 zones and
-    201 years, each with a few intervals, whatever the data: about 10 MB.
+    400 years, each with a few intervals, whatever the data: about 20 MB.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from zoneinfo import ZoneInfo
-
-        first, last = datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc), datetime(LAST_YEAR + 1, 1, 1, tzinfo=timezone.utc)
-        base = datetime(1970, 1, 1, tzinfo=timezone.utc)
         for frame in frames:
             rows = []
             for name in frame["zone"]:
                 try:
-                    zone = ZoneInfo(name)
+                    known = offsets(name)
                 except Exception:  # noqa: BLE001 - not a zone
                     continue
-
-                def state(at: datetime, zone: ZoneInfo = zone) -> tuple[int, str]:
-                    there = at.astimezone(zone)
-                    return int(there.utcoffset().total_seconds()), there.tzname()
-
-                began, now, at, known = first, state(first), first, []
-                while at < last:
-                    after = min(at + timedelta(days=14), last)
-                    if state(after) != now:
-                        low, high = at, after
-                        while high - low > timedelta(seconds=1):
-                            middle = low + timedelta(seconds=(high - low) // timedelta(seconds=1) // 2)
-                            low, high = (middle, high) if state(middle) == now else (low, middle)
-                        known.append((began, high, *now))
-                        began, now, after = high, state(high), high
-                    at = after
-                known.append((began, last, *now))
                 for start, end, offset, abbr in known:
-                    a, b = start + timedelta(seconds=offset), end + timedelta(seconds=offset)
-                    for year in range(a.year, (b - timedelta(seconds=1)).year + 1):
-                        rows.append((name, year, (a - base) // timedelta(microseconds=1), (b - base) // timedelta(microseconds=1), offset, abbr))
+                    a, b = start + offset, end + offset
+                    years = (datetime(1970, 1, 1) + timedelta(seconds=a)).year, (datetime(1970, 1, 1) + timedelta(seconds=b - 1)).year
+                    rows += [(name, year, a * 1_000_000, b * 1_000_000, offset, abbr) for year in range(years[0], years[1] + 1)]
             yield pd.DataFrame(rows, columns=["zone", "year", "from_us", "to_us", "offset_s", "abbr"])
 
     flat = zones.filter("zone is not null").distinct().mapInPandas(run, "zone string, year int, from_us bigint, to_us bigint, offset_s int, abbr string")

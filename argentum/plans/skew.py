@@ -14,11 +14,15 @@ def salted_join(rows: DataFrame, answers: DataFrame, keys: list[str], copies: st
 
     copies: the column of answers that counts the rows of its key; total: all
     rows. At most HOT_SHARE keys can be hot, so their broadcast is bounded.
-    Null keys match nothing. The column `copies` is dropped.
+    A row's salt is a hash of its other columns, so that a stage that is run
+    again after a lost executor salts it alike. Null keys match nothing. The
+    column `copies` is dropped.
     """
     least = max(hot_rows, total // HOT_SHARE)
     hot = answers.filter(F.col(copies) >= least).select(*keys).withColumn("_hot", F.lit(True))
     spread = F.when(F.col(copies) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = answers.withColumn("_salt", F.explode(spread)).drop(copies)
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), (F.rand(17) * salts).cast("int")).otherwise(0)).drop("_hot")
+    others = [c for c in rows.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

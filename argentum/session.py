@@ -31,17 +31,23 @@ def local_session(cores: str | int = 8, memory: str = "8g", partitions: int = 8)
 
 
 _own: dict[str, str] = {}
+#: What this process wrote into the shared folder and has not dropped, by session.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is
-    made, kept for the process and removed at its end.
+    Only where that is unset and the master is local a temporary folder is
+    made, kept for the process and removed at its end. On a cluster each
+    executor would write to a disk of its own, so that is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is unset, and {master} shares no local folder")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="argentum-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -49,8 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; removed by drop(), or when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _written:
+        atexit.register(_sweep)
+    _written[path] = spark
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +71,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*frames: DataFrame | str) -> None:
+    """Deletes what cut() wrote for frames that nothing reads any more."""
+    for x in frames:
+        path = x if isinstance(x, str) else getattr(x, "_scratch", None)
+        if path in _written:
+            delete(_written.pop(path), path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a path of any file system that Spark can reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone; a local folder goes with the process
+            return
+    _written.clear()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Readers: folders of media, archives, sidecar files and append-only logs."""
