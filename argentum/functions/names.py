@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 # The extensions of media, and the white space that is trimmed.
 IMAGES = (".jpg", ".jpeg", ".png", ".heic")
 VIDEOS = (".3gp", ".avi", ".m4v", ".mkv", ".mov", ".mp4")
-SPACE = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # A number before the extension, one after it, one after a dash, and the name of a supplement.
 BEFORE = r"^([^\n]*)\((\d+)\)(\.[^.]+)\z"
 AFTER = r"^([^\n]*)(\.[^.]+)\((\d+)\)\z"
 DASH = r"^([^\n]*)-(\d+)\z"
+MEANT = r"(\.[^.]+)\(\d+\)\z|(\.[^./]*)\z"
 SUPPLEMENT = r"(?i)^([^\n]*)\.supplemental-metadata(?:\((\d+)\))?\.json\z"
 EDITED = "-edited"
 #: Bytes at which exports cut names.
@@ -27,8 +28,8 @@ PREFIX = 20
 
 
 def strip(text: Column) -> Column:
-    """Text without white space around it; bytes that are no UTF-8 stay as they are where nothing is stripped."""
-    return F.when(text.rlike(rf"^{SPACE}|{SPACE}\z"), F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")).otherwise(text)
+    """Text without white space around it."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def extension(name: Column) -> Column:
@@ -59,7 +60,7 @@ def kind(name: Column) -> Column:
 def semantic_extension(name: Column) -> Column:
     """The extension that a name means: that before a number at its end, else its own; in lower case, without `.json`."""
     n = F.lower(strip(strip_json(name)))
-    return F.when(n.rlike(AFTER), F.regexp_extract(n, AFTER, 2)).otherwise(extension(n))
+    return F.concat(F.regexp_extract(n, MEANT, 1), F.regexp_extract(n, MEANT, 2))  # one of them is empty
 
 
 def media_stem(name: Column) -> Column:
@@ -68,20 +69,25 @@ def media_stem(name: Column) -> Column:
     return F.when(n.rlike(AFTER), F.regexp_replace(n, AFTER, "$1($3)")).otherwise(without(n, extension(n)))
 
 
-def supplement_names(name: Column) -> Column:
-    """The media names, in lower case, that a supplement's name stands for; an empty array for other names."""
-    n = strip(name)
-    meant, number = F.regexp_extract(n, SUPPLEMENT, 1), F.regexp_extract(n, SUPPLEMENT, 2)
-    ext = extension(meant)
-    numbered = F.concat(meant, F.lit("("), number, F.lit(")"))
-    names = F.when(number == "", F.array(meant)).when(ext == "", F.array(numbered)).otherwise(F.array(F.concat(without(meant, ext), F.lit("("), number, F.lit(")"), ext), numbered))
-    return F.when(n.rlike(SUPPLEMENT), F.transform(names, lambda x: F.lower(x))).otherwise(F.array().cast("array<string>"))
+def with_supplement_names(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """Adds the media names, in lower case, that a supplement's name stands for; an empty array for other names."""
+    m, e = F.col("__m"), F.col("__e")
+    rows = rows.withColumn("__n", F.lower(strip(F.col(name))))
+    rows = rows.withColumns({"__m": F.regexp_extract("__n", SUPPLEMENT, 1), "__k": F.regexp_extract("__n", SUPPLEMENT, 2), "__is": F.coalesce(F.col("__n").rlike(SUPPLEMENT), F.lit(False))})
+    rows = rows.withColumns({"__e": extension(m), "__k": F.concat(F.lit("("), "__k", F.lit(")"))})
+    found = F.when(F.col("__k") == "()", F.array(m)).when(e == "", F.array(F.concat(m, "__k"))).otherwise(F.array(F.concat(without(m, e), "__k", e), F.concat(m, "__k")))
+    return rows.withColumn(out, F.when(F.col("__is"), found).otherwise(F.array().cast("array<string>"))).drop("__n", "__m", "__k", "__is", "__e")
 
 
 def _unique(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, strip), lambda x: x != ""))
 
 
+def _cut(text: Column, count: int) -> Column:
+    """The first bytes of a text without a space at their end."""
+    return F.rtrim(head_bytes(text, count))
+
+
 def with_name_keys(rows: DataFrame, name: str, keys: str) -> DataFrame:
     """Adds the keys of a name: itself, its stem, and both without edit mark, number after a dash or number in brackets, and cut at LIMIT bytes.
 
@@ -97,19 +103,20 @@ def with_name_keys(rows: DataFrame, name: str, keys: str) -> DataFrame:
     u, d = F.col("__u"), F.col("__d")
     number = F.when(n.rlike(BEFORE), F.array(F.regexp_replace(n, BEFORE, "$1$3"), F.regexp_replace(n, BEFORE, "$1$3($2)")))
     later = F.when(n.rlike(AFTER), F.array(F.regexp_replace(n, AFTER, "$1($3)$2"), F.regexp_replace(n, AFTER, "$1$2")))
-    long = F.when(F.octet_length(n) > LIMIT, F.array(head_bytes(n, LIMIT), F.when((e != "") & (F.octet_length(s) > LIMIT), F.concat(head_bytes(s, LIMIT), e))))
+    long = F.when(F.octet_length(n) > LIMIT, F.array(_cut(n, LIMIT), F.when((e != "") & (F.octet_length(s) > LIMIT), F.concat(head_bytes(s, LIMIT), e))))
     none = F.array().cast("array<string>")
-    found = F.concat(F.array(n, s, F.concat(u, e), u, F.concat(d, e), d), F.coalesce(number, none), F.coalesce(later, none), F.coalesce(long, none))
-    return rows.withColumn(keys, F.when(n != "", _unique(found)).otherwise(none)).drop("__n", "__e", "__s", "__u", "__d")
+    short = F.concat(F.array(n, s, F.concat(u, e), u, F.concat(d, e), d), F.coalesce(number, none), F.coalesce(later, none))
+    rows = rows.withColumn("__f", short).withColumn("__f", F.concat(_unique(F.col("__f")), F.coalesce(long, none)))
+    return rows.withColumn(keys, F.when(n != "", F.array_distinct(F.array_compact("__f"))).otherwise(none)).drop("__f").drop("__n", "__e", "__s", "__u", "__d")
 
 
 def partner_keys(keys: Column) -> Column:
     """The keys by which an image and a video meet: name keys without their extension, each also with a number that stood after it."""
     each = F.transform(
         keys,
-        lambda k: F.when(k.rlike(AFTER), F.array(F.regexp_extract(k, AFTER, 1), F.regexp_replace(k, AFTER, "$1($3)"))).otherwise(F.array(without(k, extension(k)))),
+        lambda k: F.when(k.rlike(AFTER), F.array(F.regexp_extract(k, AFTER, 1), F.regexp_replace(k, AFTER, "$1($3)"))).otherwise(F.array(F.trim(without(k, extension(k))))),
     )
-    return _unique(F.flatten(each))
+    return F.array_distinct(F.filter(F.flatten(each), lambda x: x != ""))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -46,7 +46,8 @@ def clean(path: Column) -> Column:
     # try_element_at is null for an empty array.
     solved = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(F.size(done) == 0, F.when((p == "..") & rooted, done).otherwise(F.array(p))).otherwise(up(done, p)))
     joined = F.array_join(solved, "/")
-    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+    plain = ~path.rlike(r"^\z|(?:^|/)\.{1,2}(?:/|\z)|//|.(?:/\z)|\\")
+    return F.when(plain, path).when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
 
 
 def dir_key(folder: Column) -> Column:

@@ -22,16 +22,22 @@ def _letters() -> tuple[str, str]:
 COMPOSED, BASES = _letters()
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text has ASCII characters only; most have, and need no folding of marks."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def unaccent(text: Column) -> Column:
     """Letters without their marks, the same for composed and decomposed text."""
-    return F.regexp_replace(F.translate(text, COMPOSED, BASES), r"\p{M}+", "")
+    return F.when(_plain(text), text).otherwise(F.regexp_replace(F.translate(text, COMPOSED, BASES), r"\p{M}+", ""))
 
 
 def fold(text: Column) -> Column:
     """Lower case, no marks, and one space for each run of anything but letters, digits and `~`."""
-    return F.trim(F.regexp_replace(F.lower(unaccent(text)), r"[^\p{L}\p{N}~]+", " "))
+    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9~]+", " ")
+    return F.trim(F.when(_plain(text), plain).otherwise(F.regexp_replace(F.lower(unaccent(text)), r"[^\p{L}\p{N}~]+", " ")))
 
 
-def strip(text: Column) -> Column:
-    """Text without Unicode white space around it."""
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+def whole(text: Column, kind: str = "int") -> Column:
+    """The number of a text of digits; an empty one is null before any cast, as a cast that fails is slow."""
+    return F.when(text != "", text).try_cast(kind)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argentum.functions.names import LIMIT, PREFIX, common_prefix, extension, head_bytes, kind, media_stem, partner_keys, semantic_extension, strip, strip_json, supplement_names, with_name_keys, without
+from argentum.functions.names import LIMIT, PREFIX, common_prefix, extension, head_bytes, kind, media_stem, partner_keys, semantic_extension, strip, strip_json, with_name_keys, with_supplement_names, without
 from argentum.functions.paths import dir_key
 from argentum.session import cut, drop
 
@@ -46,21 +46,21 @@ def _each(rule: str, keys: Column, what: Column) -> Column:
 
 
 def _exploded(rows: DataFrame, *keys: Column) -> DataFrame:
-    arrays = F.filter(F.flatten(F.array(*keys)), lambda x: x["key"].isNotNull() & (x["key"] != ""))
-    return rows.withColumn("k", F.explode(arrays)).select("*", "k.rule", "k.key", "k.what").drop("k")
+    exploded = rows.withColumn("k", F.explode(F.flatten(F.array(*keys)))).select("*", "k.rule", "k.key", "k.what").drop("k")
+    return exploded.filter("key is not null and key <> ''")
 
 
 def media_rows(media: DataFrame) -> DataFrame:
     """media_id, scope, rule, key, what (the extension where it counts) of each medium in both of its scopes."""
     rows = with_name_keys(media.filter("file_name is not null").select("media_id", "source_id", "rel_dir", "file_name"), "file_name", "keys")
     low = F.lower("file_name")
-    rows = rows.withColumns({"low": low, "ext": semantic_extension(low)})
+    scopes = F.array(bundle(F.col("source_id"), F.col("rel_dir")), index_scope(F.col("rel_dir")))
+    rows = rows.withColumns({"low": low, "ext": semantic_extension(low), "scopes": scopes}).select("media_id", "low", "ext", "keys", "scopes")
     low, ext = F.col("low"), F.col("ext")
     none = F.lit("")
     begun = F.when((F.octet_length(low) >= PREFIX) & (ext != ""), head_bytes(low, PREFIX))
     keyed = _exploded(rows, F.array(_row("exact", F.concat(low, F.lit(".json")), none), _row("supplement", low, none), _row("title", low, none), _row("prefix", begun, ext)), _each("key", F.col("keys"), ext))
-    scopes = F.array(bundle(F.col("source_id"), F.col("rel_dir")), index_scope(F.col("rel_dir")))
-    return keyed.select("media_id", F.explode(scopes).alias("scope"), "rule", "key", "what")
+    return keyed.select("media_id", F.explode("scopes").alias("scope"), "rule", "key", "what")
 
 
 def first_global(sidecar: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def sidecar_rows(sidecar: DataFrame) -> DataFrame:
     """sidecar_id, scope, rule, key, what, kind (title or name) of each sidecar in its scope."""
     rows = sidecar.filter("sidecar_name is not null").select("sidecar_id", "origin", "source_id", "rel_dir", F.col("sidecar_name").alias("name"), title_text().alias("title"), "seq", "sidecar_name")
     rows = first_global(rows)
-    rows = with_name_keys(with_name_keys(rows, "title", "title_keys"), "name", "name_keys")
+    rows = with_supplement_names(with_name_keys(with_name_keys(rows, "title", "title_keys"), "name", "name_keys"), "name", "means")
     text = F.when(F.col("title") != "", F.col("title")).otherwise(without(F.col("name"), extension(F.col("name"))))
     rows = rows.withColumns({"low": F.lower("name"), "titled": F.lower("title"), "title_ext": semantic_extension(F.col("title")), "name_ext": semantic_extension(F.col("name")), "begin": F.lower(strip_json(text)), "begin_ext": F.lower(extension(text)), "scope": F.when(F.col("origin") == "global", index_scope(F.col("rel_dir"))).otherwise(bundle(F.col("source_id"), F.col("rel_dir")))})
     none = F.lit("")
@@ -99,7 +99,7 @@ def sidecar_rows(sidecar: DataFrame) -> DataFrame:
     keyed = _exploded(
         rows,
         F.array(_row("exact", F.col("low"), none), _row("title", F.col("titled"), none), _row("prefix", begun, F.col("begin_ext"))),
-        _each("supplement", supplement_names(F.col("name")), none),
+        _each("supplement", F.col("means"), none),
         _each("key", F.col("title_keys"), F.concat(F.lit("title"), F.col("title_ext"))),
         _each("key", F.col("name_keys"), F.concat(F.lit("name"), F.col("name_ext"))),
     )
@@ -202,4 +202,4 @@ def inherit(matches: DataFrame, partner: DataFrame, media: DataFrame) -> DataFra
 
 def match(media: DataFrame, sidecar: DataFrame) -> DataFrame:
     """media_id, status, strategy, score, sidecar_id, candidates, partner_id of every medium."""
-    return inherit(best(media, scored(media, sidecar)), partners(media), media)
+    return inherit(cut(best(media, scored(media, sidecar)), "best"), cut(partners(media), "partners"), media)

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argentum.functions.text import unaccent
+from argentum.functions.text import unaccent, whole
+from argentum.session import ship
 
 FIRST_YEAR, LAST_YEAR = 1800, 2199
 
@@ -50,21 +51,25 @@ NUMBER = r"^[-+]?\d+(?:\.\d+)?$"
 def tidy(text: Column) -> Column:
     """One kind of space and minus, no white space or quotes around."""
     spaced = F.regexp_replace(F.translate(text, "−", "-"), r"[\s\p{Z}]+", " ")
-    return F.regexp_replace(spaced, r'^[ "\']+|[ "\']+$', "")
+    return F.when(text.rlike(r"^\d+\z"), text).otherwise(F.regexp_replace(spaced, r'^[ "\']+|[ "\']+$', ""))
 
 
 def epoch(text: Column) -> Column:
     """Microseconds of a bare number that counts from 1970 in the unit its size implies; null for anything else."""
+    # Whole numbers of up to 18 digits need no decimals.
+    whole = F.when(text.rlike(r"^[-+]?\d{1,18}\z"), text.try_cast("bigint"))
+    least = F.abs(whole)
+    quick = F.when(least >= 10**14, whole).when(least >= 10**11, whole * 1000).otherwise(whole * 1_000_000)
     value = F.when(text.rlike(NUMBER), text.try_cast("decimal(38,9)"))
     size = F.abs(value)
     unit = F.when(size >= 10**17, F.lit("0.001")).when(size >= 10**14, F.lit("1")).when(size >= 10**11, F.lit("1000")).otherwise(F.lit("1000000")).cast("decimal(10,3)")
-    return F.floor(F.try_multiply(value, unit)).try_cast("bigint")
+    return F.when(least < 10**17, quick).otherwise(F.floor(F.try_multiply(value, unit)).try_cast("bigint"))
 
 
 def offset_seconds(zone: Column) -> Column:
     """Seconds of an offset text: Z, UTC, GMT, +hh, +hhmm, +hh:mm, with or without UTC or GMT before it."""
     number = r"^(?:UTC|GMT)?([+-])(\d{1,2})(?::?(\d{2}))?$"
-    hour, minute = F.regexp_extract(zone, number, 2).try_cast("int"), F.coalesce(F.regexp_extract(zone, number, 3).try_cast("int"), F.lit(0))
+    hour, minute = whole(F.regexp_extract(zone, number, 2)), F.coalesce(whole(F.regexp_extract(zone, number, 3)), F.lit(0))
     seconds = F.when(F.regexp_extract(zone, number, 1) == "-", -1).otherwise(1) * (hour * 3600 + minute * 60)
     return F.when(F.upper(zone).isin("Z", "UTC", "GMT", "UT"), 0).when(zone.rlike(number) & (hour <= 14) & (minute < 60), seconds)
 
@@ -98,14 +103,14 @@ def parse(rows: DataFrame, digits_are_calendar: bool = False) -> DataFrame:
     named = F.coalesce(*(F.when(F.substring("_name", 1, len(b)) == b, F.lit(str(m))) for m, begins in MONTHS.items() for b in sorted(begins, key=len, reverse=True)))
     month = F.when(p[1].startswith("#"), F.when(month_first, first).otherwise(second)).when(F.col("_name").isNull(), p[1]).otherwise(named)
     day = F.when(p[1].startswith("#"), F.when(month_first, second).otherwise(first)).otherwise(p[2])
-    hour12 = p[3].try_cast("int")
+    hour12 = whole(p[3])
     hour = F.when(F.col("_half") == "", hour12).when(hour12.between(1, 12), hour12 % 12 + F.when(F.col("_half") == "P", 12).otherwise(0))
     rows = rows.withColumns(
         {
             "_date": F.unix_date(F.concat(p[0], F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")),
             "_hour": hour,
-            "_minute": p[4].try_cast("int"),
-            "_second": F.coalesce(p[5].try_cast("int"), F.lit(0)),
+            "_minute": whole(p[4]),
+            "_second": F.coalesce(whole(p[5]), F.lit(0)),
             "_micro": F.coalesce(F.substring(F.rpad(p[6], 6, "0"), 1, 6).try_cast("int"), F.lit(0)),
         }
     )
@@ -197,6 +202,7 @@ def intervals(zones: DataFrame) -> DataFrame:
                     rows += [(name, year, a * 1_000_000, b * 1_000_000, offset, abbr) for year in range(years[0], years[1] + 1)]
             yield pd.DataFrame(rows, columns=["zone", "year", "from_us", "to_us", "offset_s", "abbr"])
 
+    ship(zones.sparkSession)
     flat = zones.filter("zone is not null").distinct().mapInPandas(run, "zone string, year int, from_us bigint, to_us bigint, offset_s int, abbr string")
     return flat.groupBy("zone", "year").agg(F.collect_list(F.struct("from_us", "to_us", "offset_s", "abbr")).alias("spans"))
 

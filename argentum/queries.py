@@ -94,7 +94,7 @@ def partner_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplement_names(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sidecar").select("sidecar_id", F.explode(names.supplement_names(F.col("sidecar_name"))).alias("media_name"))
+    return names.with_supplement_names(table(spark, folder, "sidecar"), "sidecar_name", "means").select("sidecar_id", F.explode("means").alias("media_name"))
 
 
 def shared_prefix(spark: SparkSession, folder: str) -> DataFrame:

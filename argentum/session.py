@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,6 +101,24 @@ def _sweep() -> None:
     _written.clear()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers of the session, once; needed before any operator that runs Python there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="argentum-package-")  # read by the driver only, which serves it
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/argentum_package.zip", "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/argentum_package.zip")
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One test or input table of a folder of parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from argentum.functions.paths import OWN, ROOT, SYSTEM, UNFINISHED, below_root, is_sidecar, safe_entry
+from argentum.session import ship
 
 SCHEMA = "archive string, archive_bytes bigint, mtime_ns bigint, entry_name string, is_dir boolean, is_symlink boolean, uncompressed_size bigint, body string, problem string"
 #: Bytes of a sidecar that is read at most.
@@ -100,6 +101,7 @@ class ZipEntries(DataSource):
 
 def entries(spark: SparkSession, roots: str, sidecars: bool = False, max_bytes: int = MAX_SIDECAR) -> DataFrame:
     """The entries of all archives below the roots; an unreadable archive of a folder is one row with a problem, one that is named raises."""
+    ship(spark)
     spark.dataSource.register(ZipEntries)
     reader = spark.read.format("zip_entries").option("max_bytes", max_bytes)
     return (reader.option("content", "sidecars") if sidecars else reader).load(roots)
