@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.llm import tokens
+from argentum.session import ship
 
 #: Tokens within which a piece that shares tokens looks for a better beginning.
 BACK = 8
@@ -190,4 +191,5 @@ def pieces(documents: DataFrame, limits: DataFrame, path: str = tokens.TOKENIZER
     long = documents.filter(F.octet_length("text") > least).select("doc_id", "text")
     if not wanted:
         return documents.sparkSession.createDataFrame([], SCHEMA)
+    ship(documents.sparkSession)
     return long.mapInArrow(run, SCHEMA)

@@ -10,6 +10,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from argentum.session import ship
+
 #: The vocabulary that sizes are counted with.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -40,4 +42,5 @@ def sizes(documents: DataFrame, path: str = TOKENIZER, form: Callable[[str], str
             digests = pa.array([None if t is None else hashlib.blake2b(form(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, digests], names=["doc_id", "source", "tokens", "digest"])
 
+    ship(documents.sparkSession)
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, tokens bigint, digest binary")
