@@ -11,10 +11,8 @@ that the time is ambiguous, none that it doesn't exist, one gives the offset.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,22 +186,22 @@ def intervals(zones: DataFrame) -> DataFrame:
     400 years, each with a few intervals, whatever the data: about 20 MB.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name in frame["zone"]:
-                try:
-                    known = offsets(name)
-                except Exception:  # noqa: BLE001 - not a zone
-                    continue
-                for start, end, offset, abbr in known:
-                    a, b = start + offset, end + offset
-                    years = (datetime(1970, 1, 1) + timedelta(seconds=a)).year, (datetime(1970, 1, 1) + timedelta(seconds=b - 1)).year
-                    rows += [(name, year, a * 1_000_000, b * 1_000_000, offset, abbr) for year in range(years[0], years[1] + 1)]
-            yield pd.DataFrame(rows, columns=["zone", "year", "from_us", "to_us", "offset_s", "abbr"])
+    @F.udf("array<struct<year: int, from_us: bigint, to_us: bigint, offset_s: int, abbr: string>>")
+    def years(name: str) -> list[tuple]:
+        """The intervals of one zone; called once for each of the few zones, so rows may come one at a time."""
+        try:
+            known = offsets(name)
+        except Exception:  # noqa: BLE001 - not a zone
+            return []
+        rows = []
+        for start, end, offset, abbr in known:
+            a, b = start + offset, end + offset
+            first, last = (datetime(1970, 1, 1) + timedelta(seconds=a)).year, (datetime(1970, 1, 1) + timedelta(seconds=b - 1)).year
+            rows += [(year, a * 1_000_000, b * 1_000_000, offset, abbr) for year in range(first, last + 1)]
+        return rows
 
     ship(zones.sparkSession)
-    flat = zones.filter("zone is not null").distinct().mapInPandas(run, "zone string, year int, from_us bigint, to_us bigint, offset_s int, abbr string")
+    flat = zones.filter("zone is not null").distinct().select("zone", F.explode(years("zone")).alias("x")).select("zone", "x.*")
     return flat.groupBy("zone", "year").agg(F.collect_list(F.struct("from_us", "to_us", "offset_s", "abbr")).alias("spans"))
 
 
