@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,12 +74,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     column pruning and pushed filters like any other table.
     """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with short_plans(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+@contextlib.contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Shortens the texts of plans, which the driver keeps for each execution; those of text expressions may take megabytes."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 10_000)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(*frames: DataFrame | str) -> None:
     """Deletes what cut() wrote for frames that nothing reads any more."""
     for x in frames:
