@@ -220,8 +220,10 @@ def resolve(parsed: DataFrame, spans: DataFrame) -> DataFrame:
     year = F.year(F.date_from_unix_date((F.col("local_us") / 86_400_000_000).cast("bigint").cast("int")))
     rows = parsed.withColumn("offset_s", offset_seconds(F.col("zone")))
     rows = rows.withColumn("at_zone", F.when(F.col("offset_s").isNull() & F.col("local_us").isNotNull(), F.when(iana, F.col("zone")).otherwise(F.col("home_zone")))).withColumn("at_year", year).withColumn("abbr", abbr)
-    known = spans.select(F.col("zone").alias("at_zone"), F.col("year").alias("at_year"), "spans")
-    joined = rows.join(F.broadcast(known), ["at_zone", "at_year"], "left")
+    # A null-safe equality, though no zone or year of spans is null: Spark would follow the keys of a plain one down through all
+    # steps of parse, in search of partitions, and write out each step wherever it is used, which takes a gigabyte of the driver's heap.
+    known = spans.select(F.col("zone").alias("of_zone"), F.col("year").alias("of_year"), "spans")
+    joined = rows.join(F.broadcast(known), F.col("at_zone").eqNullSafe(F.col("of_zone")) & F.col("at_year").eqNullSafe(F.col("of_year")), "left")
     # An abbreviation names one of the offsets of the year, in whatever season; in its own season the interval decides.
     holding = F.filter("spans", lambda s: (s["from_us"] <= F.col("local_us")) & (F.col("local_us") < s["to_us"]) & (F.col("abbr").isNull() | (s["abbr"] == F.col("abbr"))))
     of_abbr = F.array_distinct(F.transform(F.filter("spans", lambda s: s["abbr"] == F.col("abbr")), lambda s: s["offset_s"]))
@@ -239,7 +241,7 @@ def resolve(parsed: DataFrame, spans: DataFrame) -> DataFrame:
         .otherwise("nonexistent")
     )
     found = F.when(F.col("how") == "number", F.col("epoch_us")).when(F.col("how") == "offset", F.col("local_us") - F.col("offset_s").cast("bigint") * 1_000_000).when(F.col("how") == "zone", F.col("local_us") - F.col("offsets")[0].cast("bigint") * 1_000_000)
-    return joined.withColumn("how", how).withColumn("utc_us", found.cast("bigint")).drop("spans", "holding", "offsets", "at_zone", "at_year", "abbr", "offset_s")
+    return joined.withColumn("how", how).withColumn("utc_us", found.cast("bigint")).drop("spans", "holding", "offsets", "at_zone", "at_year", "of_zone", "of_year", "abbr", "offset_s")
 
 
 def stamp(rows: DataFrame, exports: DataFrame, spans: DataFrame, digits_are_calendar: bool = False) -> DataFrame:
